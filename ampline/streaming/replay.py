@@ -29,13 +29,14 @@ class Replay:
 def replay(rows: DataFrame, spec: JobSpec, folder: str) -> Replay:
     """rows(batch, ...) as one file per batch, in batch order, through the streaming job.
 
-    The flush is a control row on the reserved key an hour past the largest valid
-    time, plus the delay; an empty batch follows and brings the watermark there.
+    The flush is a control row on the reserved key an hour (or twice the gap or window) past the largest
+    valid time, plus the delay; an empty batch follows and brings the watermark there.
     """
     spark = rows.sparkSession
     root = f"{folder}/replay-{uuid.uuid4().hex}"
     batches = [r["batch"] for r in rows.select("batch").distinct().orderBy("batch").collect()]
-    target = rows.agg((F.max(F.when(F.col("valid"), F.col("ts"))) + 3_600_000).alias("t")).first()["t"]
+    margin = max(3_600_000, 2 * spec.gap_ms, 2 * spec.window_ms)  # all that is open closes
+    target = rows.agg((F.max(F.when(F.col("valid"), F.col("ts"))) + margin).alias("t")).first()["t"]
     if target is None:
         return Replay(spark.createDataFrame([], FACT), {"drained": True, "target": None}, [])
     rows = rows.withColumn("key", F.col("key").cast("string"))
