@@ -40,6 +40,7 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    df.sparkSession._jvm.System.gc()  # the cleaner removes the shuffle files of plans that nothing holds any more
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
