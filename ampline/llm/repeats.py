@@ -214,8 +214,9 @@ def removals(docs: DataFrame) -> DataFrame:
     texts = spark.table(table)
     sampled = materialise(texts.mapInArrow(_sampled, "digest binary, at array<long>, name array<long>"), "samples")
     flat = sampled.select("digest", F.explode(F.arrays_zip("at", "name")).alias("s")).select("digest", "s.at", "s.name")
-    twice = flat.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
-    repeated = flat.join(twice, "name").groupBy("digest").agg(F.collect_list("at").alias("at"))
+    # written, so that both sides of the join are exchanged and a hot sample can be split
+    twice = materialise(flat.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"), "twice")
+    repeated = flat.join(twice.hint("merge"), "name").groupBy("digest").agg(F.collect_list("at").alias("at"))
     chunks = materialise(texts.join(repeated.hint("merge"), "digest").select("digest", "body", "at").mapInArrow(_chunked, "chunk long, n long, digests array<binary>, bodies array<binary>, ats array<array<long>>"), "chunks")
     buckets = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET))
 
