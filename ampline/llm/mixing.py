@@ -32,7 +32,7 @@ from .common import materialise, read_table
 WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Undecided documents per block, about.
-BLOCK = 20_000
+BLOCK = 4_000
 #: Documents of a source, below its median size, that are left to the landing.
 LANDING = 64
 
