@@ -43,11 +43,21 @@ def replay(rows: DataFrame, spec: JobSpec, folder: str) -> Replay:
     inbox = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/in")
     inbox.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(inbox)
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    progress: dict[int, list] = {}
+
+    def note():
+        # the engine keeps only the latest entries (100 by default); a micro-batch can have several
+        for p in query.recentProgress:
+            own = progress.setdefault(p["batchId"], [])
+            if p["timestamp"] not in [q["timestamp"] for q in own]:
+                own.append(p)
+
     query = facts_stream(source, spec).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").start(f"{root}/out")
     try:
         for b in batches:
             rows.filter(F.col("batch") == b).coalesce(1).write.mode("append").parquet(f"{root}/in")
             query.processAllAvailable()
+            note()
         last = rows.agg(F.max("arrival_seq").alias("a")).first()["a"]
         control = rows.limit(1).select(*[
             {"key": F.lit(rules.RESERVED_VIN), "event_id": F.lit(rules.CONTROL_ID), "ts": F.lit(target + spec.delay_ms), "arrival_seq": F.lit(last + 1), "batch": F.lit(batches[-1] + 1), "valid": F.lit(True)}.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
@@ -55,10 +65,10 @@ def replay(rows: DataFrame, spec: JobSpec, folder: str) -> Replay:
         ])
         control.coalesce(1).write.mode("append").parquet(f"{root}/in")
         query.processAllAvailable()
-        progress = [p for p in query.recentProgress]
+        note()
     finally:
         query.stop()
     facts = spark.read.schema(FACT).parquet(f"{root}/out")
-    trace = [{"micro_batch": p["batchId"], "watermark": p["eventTime"].get("watermark"), "rows": p["numInputRows"], "dropped": sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]), "state_rows": sum(s["numRowsTotal"] for s in p["stateOperators"])} for p in progress]
+    trace = [{"micro_batch": p["batchId"], "watermark": p["eventTime"].get("watermark"), "rows": p["numInputRows"], "dropped": sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]), "state_rows": sum(s["numRowsTotal"] for s in p["stateOperators"])} for b in sorted(progress) for p in progress[b]]
     reached = spark.sql(f"SELECT unix_millis(timestamp '{trace[-1]['watermark']}') AS t").first()["t"] if trace and trace[-1]["watermark"] else None
     return Replay(facts, {"target": target, "watermark": reached, "drained": reached == target, "state_rows": trace[-1]["state_rows"] if trace else 0}, trace)
