@@ -34,6 +34,8 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 1200
 PIECE = 1 << 18
 UND = "und"
+#: Texts held out that show how strange a language's own texts can be, at least; and what the strangest one's value is multiplied by.
+HELD, MARGIN = 20, 1.25
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -203,3 +205,76 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_column(F.col("doc_id"), 4) == 2
     model = train(docs.filter(~held_out).select("text", "lang"))
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+@dataclass
+class Known:
+    """How usual the n-grams of each language's texts are, and the least that its held-out texts show."""
+
+    logs: dict[str, np.ndarray]
+    least: dict[str, float]
+
+    def usual(self, text: str, lang: str) -> float:
+        """Mean log share of the language's texts that have an n-gram, over the n-grams of the text."""
+        c = counts(text)
+        return float(c @ self.logs[lang] / max(1, c.sum()))
+
+
+def known(docs: DataFrame, model: Model, per_language: int = PER_LANGUAGE) -> Known:
+    """docs(text, lang): the learning documents. A fifth of a bounded sample of each language is held out.
+
+    A language with fewer than HELD texts held out takes the least value of all languages; with fewer than
+    HELD in all, nothing is judged.
+    """
+    own = docs.filter("text is not null").select("text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isin(model.langs)).withColumn("h", F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30)))
+    totals = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    if not totals:
+        return Known({}, {})
+    below = F.create_map(*[F.lit(v) for k, n in totals.items() for v in (k, int(min(1.0, per_language / n) * (1 << 30)))])
+    sample = own.filter(F.col("h") <= below[F.col("lang")])
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {}
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if has_letter(t := text.as_py()):
+                    n, df = sums.setdefault(lang, [0, np.zeros(DIM, np.int64)])
+                    df += counts(t) > 0
+                    sums[lang][0] = n + 1
+        for lang, (n, df) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n]), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["lang", "n", "df"])
+
+    parts = sample.filter("h % 5 <> 0").select("lang", "text").mapInArrow(frequencies, "lang string, n long, df array<long>")
+    sums = parts.select("lang", "n", F.posexplode("df").alias("at", "df")).groupBy("lang", "at").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).toPandas()
+    logs = {}
+    for lang, g in sums.groupby("lang"):
+        logs[lang] = np.empty(DIM, np.float32)
+        logs[lang][g["at"]] = np.log((g["df"] + 0.5) / (g["n"] + 1))
+    shared = docs.sparkSession.sparkContext.broadcast(Known(logs, {}))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(x, shared.value.usual(t, x)) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x in shared.value.logs and has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["lang", "usual"])
+
+    held = sample.filter("h % 5 = 0").select("lang", "text").mapInArrow(score, "lang string, usual double")
+    found = held.groupBy("lang").agg(F.min("usual").alias("least"), F.count(F.lit(1)).alias("n")).collect()
+    if sum(r["n"] for r in found) < HELD:
+        return Known(logs, {})
+    least = dict.fromkeys(logs, MARGIN * min(r["least"] for r in found))
+    least |= {r["lang"]: MARGIN * r["least"] for r in found if r["n"] >= HELD}
+    return Known(logs, least)
+
+
+def of_known_language(docs: DataFrame, seen: Known, text: str = "text") -> DataFrame:
+    """docs(text, lang_pred) without the texts that are stranger than any held out of the predicted language."""
+    shared = docs.sparkSession.sparkContext.broadcast(seen)
+    at, lang = docs.columns.index(text), docs.columns.index("lang_pred")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column(at), b.column(lang).to_pylist(), strict=True)
+            keep = [x not in shared.value.least or shared.value.usual(t.as_py(), x) >= shared.value.least[x] for t, x in rows]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
