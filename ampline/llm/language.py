@@ -215,8 +215,12 @@ class Known:
     least: dict[str, float]
 
     def usual(self, text: str, lang: str) -> float:
-        """Mean log share of the language's texts that have an n-gram, over the n-grams of the text."""
-        c = counts(text)
+        """Mean log share of the language's texts that have an n-gram, over the n-grams of the text.
+
+        Words with a digit or @ (numbers, addresses, keys) are left out, unless under ten letters remain.
+        """
+        plain = " ".join(w for w in text.split() if "@" not in w and not any(map(str.isdigit, w)))
+        c = counts(plain if sum(map(str.isalpha, plain)) >= 10 else text)
         return float(c @ self.logs[lang] / max(1, c.sum()))
 
 
