@@ -3,24 +3,31 @@
 Every byte is removed that lies in a WIDTH-byte string which starts anywhere
 else too, in the same text or another.
 
-The construction is blockwise with a cover sample, in bounded memory:
-
-1. Cover sample. Positions are sampled so that two equal WIDTH-byte strings hold
-   a sample at the same place. The sample is chosen by content (least hash of
-   GRAM bytes in each window) where a difference cover chooses residues: it has
-   the same property with a twentieth of the positions. Samples are ranked by
-   the hash of what they start; those that occur once rule out all strings
-   around them, and only strings at repeated samples go on.
-2. Suffix buckets. The remaining suffixes are named by the hash of their first
-   WIDTH bytes and dealt into buckets by a second hash; one bucket at a time is
-   sorted and equal neighbours are marked. A chunk of texts names a string once
-   however often it has it, so a passage that a third of all texts share is one
-   entry per chunk. A bucket answers with one bit per entry.
+The construction is blockwise with a difference cover, in bounded memory:
+
+1. Cover sample. Of the positions modulo PERIOD only the residues of a difference
+   cover are sampled. For any two positions some shift below PERIOD brings both
+   to sampled residues, so two equal WIDTH-byte strings hold equal sample strings
+   of SAMPLE = WIDTH - PERIOD + 1 bytes at the same place. Samples are ranked
+   against each other, one bucket at a time; a string is a candidate only if it
+   holds a sample that occurs again. This rules out all others.
+2. Suffix buckets. Candidates are sorted by the name of their first WIDTH bytes,
+   one block of buckets after the other and one bucket in memory at a time, and
+   equal neighbours are marked. Blocks are sized by the texts, so the scratch space
+   is a share of the input. A chunk of texts names a string once however often it
+   has it, so a passage that a third of all texts share is one entry per chunk; a
+   bucket answers with one bit per entry.
 3. Each chunk maps the bits back to its positions and cuts the covered bytes.
 
+Names are values of the string as a polynomial modulo 2^61 - 1 at points drawn at
+random for each run: one point for samples, which only nominate, two for
+candidates. Two different strings share both values with a probability of at most
+(400 / 2^61)^2, whatever the texts; as the points aren't known before, no text can
+be built that collides. Over all pairs of 100 TB of positions that is below 1 in 5,000
+in total, and below 1 in 10^10 for 30 GB. Buckets are ranges of names.
+
 Equal texts are one text for all of this; if there are two or more of them and
-they have WIDTH bytes or more, all their bytes go. Names have 64 bits and the
-bucket's number; equal names are taken for equal strings.
+they have WIDTH bytes or more, all their bytes go.
 
 Null text counts as empty. Texts under WIDTH bytes stay whole. Texts are UTF-8
 bytes, handled in pieces, so memory doesn't grow with their length beyond the
@@ -31,124 +38,184 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import secrets
 import uuid
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, shared_dir
+from .common import discard, materialise, read_table, shared_dir
 
 WIDTH = 400
-GRAM = 64
-PIECE = 1 << 21
-#: Text bytes of a chunk, about.
-CHUNK = 1 << 21
+#: A prime; the cover has ORDER + 1 of ORDER^2 + ORDER + 1 residues.
+ORDER = 13
+PERIOD = ORDER * ORDER + ORDER + 1
+SAMPLE = WIDTH - PERIOD + 1
+#: Bytes named at once.
+PIECE = 1 << 18
+#: Text bytes of a chunk, about, and strings that it names at once, at most.
+CHUNK, UNIT = 1 << 21, 1 << 21
 #: Names of a bucket, about.
 BUCKET = 1 << 20
+#: Names of a block of buckets, in bytes, for each byte of text.
+SHARE = 0.4
+
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30, _LOW32 = (np.uint64(x) for x in (PRIME, (1 << 31) - 1, (1 << 30) - 1, (1 << 32) - 1))
+_U = {n: np.uint64(n) for n in (1, 30, 31, 32, 61)}
+
+
+def difference_cover(order: int = ORDER) -> np.ndarray:
+    """Residues modulo order^2 + order + 1 (order prime) whose differences are all others, each once.
+
+    Singer's construction: powers of the root of a cubic over the field of `order` elements that lie in a plane.
+    """
+    period = order * order + order + 1
+    for a, b, c in product(range(order), repeat=3):
+        x, at = (1, 0, 0), []
+        for i in range(period):
+            if x[2] == 0:
+                at.append(i)
+            x = (x[2] * a % order, (x[0] + x[2] * b) % order, (x[1] + x[2] * c) % order)
+        if len(at) == order + 1 and len({(p - q) % period for p in at for q in at}) == period:
+            return np.array(at, np.int64)
+    raise ValueError(f"{order} is not prime")
+
+
+_COVER = difference_cover()
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x >> _U[61]) + (x & _P)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo PRIME for values below it."""
+    xh, xl, yh, yl = x >> _U[31], x & _LOW31, y >> _U[31], y & _LOW31
+    middle = xl * yh + xh * yl
+    return _reduced(((xh * yh) << _U[1]) + (middle >> _U[30]) + ((middle & _LOW30) << _U[31]) + xl * yl)
+
 
-_rng = np.random.default_rng(20240229)
-_TABLES = _rng.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_powers: dict[tuple[int, int], np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if (base, size) not in _powers:
-        p = np.full(size, np.uint64(base))
-        p[0] = 1
-        _powers[base, size] = np.multiply.accumulate(p)
-    return _powers[base, size][:n]
-
-
-def window_hashes(b: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """64-bit hash of each width-byte window of the bytes b; it depends on the window's content alone."""
-    base = _BASES[which]
-    sums = np.empty(len(b) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_TABLES[which][b] * _power(base, len(b)), out=sums[1:])
-    h = (sums[width:] - sums[:-width]) * _power(pow(base, -1, 1 << 64), len(b) - width + 1)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def _sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
-    """op over each window of w entries."""
-    if len(x) < w:
-        return x[:0]
-    pad = -len(x) % w
-    full = np.concatenate([x, np.repeat(x[-1:], pad)]).reshape(-1, w)
-    left = op.accumulate(full, axis=1).ravel()
-    right = op.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(x) - w + 1
-    return op(right[:n], left[w - 1 : w - 1 + n])
-
-
-def cover(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled positions and their hashes: in each WIDTH-byte window, the GRAM bytes of least hash (all of them on ties)."""
-    w = WIDTH - GRAM + 1
-    at, names = [], []
-    for a in range(0, len(b) - WIDTH + 1, PIECE):
-        h = window_hashes(b[a : a + PIECE + WIDTH - 1], GRAM)
-        least = _sliding(h, w, np.minimum)
-        edge = np.zeros(w - 1, np.uint64)
-        best = _sliding(np.concatenate([edge, least, edge]), w, np.maximum)  # the largest of the minima of windows with it
-        p = np.flatnonzero(h == best)
-        at.append(p + a)
-        names.append(h[p])
+class Point:
+    """A point at which strings are evaluated, with its powers and their inverses."""
+
+    def __init__(self, value: int):
+        self.value = value
+        self.powers, self.inverse = self._powers(value), self._powers(pow(value, -1, PRIME))
+        self.low, self.high = self.powers & _LOW32, self.powers >> _U[32]
+
+    @staticmethod
+    def _powers(base: int, n: int = PIECE + WIDTH) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) < n:
+            out = np.concatenate([out, times(out, np.uint64(pow(base, len(out), PRIME)))])
+        return out[:n]
+
+
+_points: dict[int, Point] = {}
+
+
+def point(value: int) -> Point:
+    if value not in _points:
+        if len(_points) > 8:
+            _points.clear()
+        _points[value] = Point(value)
+    return _points[value]
+
+
+def window_names(b: np.ndarray, width: int, value: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Of each width-byte window of b (at most PIECE + width - 1 bytes), or of those at `at`: sum of b[k] value^k."""
+    p, n = point(value), len(b)
+    b = b.astype(np.uint64)
+    low, high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(b * p.low[:n], out=low[1:])  # below 2^40 each, so sums of 2^19 fit
+    np.cumsum(b * p.high[:n], out=high[1:])
+    if at is None:
+        low, high, inverse = low[width:] - low[:-width], high[width:] - high[:-width], p.inverse[: n - width + 1]
+    else:
+        low, high, inverse = low[at + width] - low[at], high[at + width] - high[at], p.inverse[at]
+    return times(_reduced(times(high, np.uint64(1 << 32)) + _reduced(low)), inverse)
+
+
+def sample_names(text: bytes, value: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled positions and their names."""
+    b, at, names = np.frombuffer(text, np.uint8), [], []
+    step = PIECE // PERIOD * PERIOD
+    for a in range(0, len(b) - SAMPLE + 1, step):
+        part = b[a : a + step + SAMPLE - 1]
+        own = (np.arange(0, len(part), PERIOD)[:, None] + _COVER).ravel()
+        own = own[own <= len(part) - SAMPLE]
+        at.append(own + a)
+        names.append(window_names(part, SAMPLE, value, own))
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, first = np.unique(np.concatenate(at), return_index=True)
-    return at, np.concatenate(names)[first]
+    return np.concatenate(at), np.concatenate(names)
 
 
 def ranges(samples: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Starts (from, to) of the WIDTH-byte strings that hold a sample, merged."""
-    lo, hi = np.maximum(samples + GRAM - WIDTH, 0), np.minimum(samples, n - WIDTH) + 1
-    out: list[list[int]] = []
-    for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
-        if z <= a:
-            continue
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(z, out[-1][1])
-        else:
-            out.append([a, z])
-    return [tuple(x) for x in out]
-
-
-def names(texts: list[bytes], samples: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Names and buckets of all strings of a chunk, and (text, from, to) of each run of them."""
-    h, k, runs = [], [], []
-    for i, (t, s) in enumerate(zip(texts, samples, strict=True)):
-        b = np.frombuffer(t, np.uint8)
-        for a, z in ranges(s, len(b)):
-            for p in range(a, z, PIECE):
-                q = min(z, p + PIECE)
-                part = b[p : q + WIDTH - 1]
-                h.append(window_hashes(part, WIDTH))
-                k.append((window_hashes(part, WIDTH, 1) % np.uint64(buckets)).astype(np.int32))
-                runs.append((i, p, q))
-    if not h:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), runs
-    return np.concatenate(h), np.concatenate(k), runs
-
-
-def entries(h: np.ndarray, k: np.ndarray):
-    """The chunk's distinct (bucket, name), sorted; where each position's is; whether it occurs twice or more."""
-    order = np.lexsort((h, k))
-    hs, ks = h[order], k[order]
-    new = np.ones(len(hs), bool)
-    new[1:] = (hs[1:] != hs[:-1]) | (ks[1:] != ks[:-1])
+    """Starts (from, to) of the WIDTH-byte strings of n bytes that hold a sample, merged; samples ascend."""
+    lo, hi = np.maximum(samples - PERIOD + 1, 0), np.minimum(samples, n - WIDTH) + 1
+    lo, hi = lo[lo < hi], hi[lo < hi]
+    if not len(lo):
+        return []
+    new = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+    return list(zip(lo[np.r_[0, new]].tolist(), hi[np.r_[new - 1, len(lo) - 1]].tolist(), strict=True))
+
+
+def units(runs: list[tuple[int, int, int]], most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs (text, from, to) cut into lists that name `most` strings each."""
+    own, held = [], 0
+    for text, a, z in runs:
+        while a < z:
+            q = min(z, a + most - held)
+            own.append((text, a, q))
+            held += q - a
+            a = q
+            if held == most:
+                yield own
+                own, held = [], 0
+    if own:
+        yield own
+
+
+def run_names(texts: list[bytes], runs: list[tuple[int, int, int]], values: tuple[int, ...]) -> list[np.ndarray]:
+    """Names, one array for each value, of the WIDTH-byte strings at all positions of the runs."""
+    out: list[list[np.ndarray]] = [[] for _ in values]
+    for i, a, z in runs:
+        b = np.frombuffer(texts[i], np.uint8)
+        for p in range(a, z, PIECE):
+            part = b[p : min(z, p + PIECE) + WIDTH - 1]
+            for own, v in zip(out, values, strict=True):
+                own.append(window_names(part, WIDTH, v))
+    return [np.concatenate(x) for x in out]
+
+
+def sort_names(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of names and which of them, in order, differ from the one before."""
+    order = np.argsort(names[0])
+    new = np.ones(len(order), bool)
+    if len(names) > 1:
+        a, b = names[0][order], names[1][order]
+        tie = a[1:] == a[:-1]
+        if (tie & (b[1:] != b[:-1])).any():
+            order = np.lexsort(names[::-1])
+    sorted_ = [n[order] for n in names]
+    new[1:] = np.logical_or.reduce([s[1:] != s[:-1] for s in sorted_])
+    return order, new
+
+
+def entries(names: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct names in order; where each position's is among them; whether it occurs twice or more."""
+    order, new = sort_names(names)
     index = np.cumsum(new) - 1
-    place = np.empty(len(h), np.int64)
+    place = np.empty(len(order), np.int64)
     place[order] = index
-    return hs[new], ks[new], place, np.bincount(index) > 1
+    return [n[order[new]] for n in names], place, np.bincount(index, minlength=0) > 1
 
 
 def cut(text: bytes, starts: np.ndarray) -> tuple[int, int, bytes]:
@@ -165,89 +232,49 @@ def cut(text: bytes, starts: np.ndarray) -> tuple[int, int, bytes]:
     return int((hi - lo).sum()), len(lo), b"".join(kept)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [cover(np.frombuffer(t.as_py(), np.uint8)) for t in b.column("body")]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("digest"), pa.array([p.tolist() for p, _ in found], pa.list_(pa.int64())), pa.array([h.view(np.int64).tolist() for _, h in found], pa.list_(pa.int64()))],
-            names=["digest", "at", "name"],
-        )
+ASKED = "bucket int, chunk long, unit int, names binary, many binary"
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, body, at) to one row per chunk, with its number of strings."""
-    part, number = TaskContext.get().partitionId() << 36, 0
+def _questions(chunk: int, unit: int, names: list[np.ndarray], buckets: int, first: int = 0, last: int | None = None) -> Iterator[tuple]:
+    """One row for each bucket from `first` to `last` of which the unit has names."""
+    width = -(-PRIME // buckets)
+    if last is not None:
+        own = (names[0] >= np.uint64(first * width)) & (names[0] < np.uint64(min(last * width, PRIME)))
+        names = [n[own] for n in names]
+    distinct, _, many = entries(names)
+    bucket = (distinct[0] // np.uint64(width)).astype(np.int32)
+    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)].tolist() if len(bucket) else []
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        yield int(bucket[a]), chunk, unit, b"".join(d[a:z].tobytes() for d in distinct), np.packbits(many[a:z]).tobytes()
 
-    def out(rows):
-        digests, bodies, ats = zip(*rows, strict=True)
-        n = sum(z - a for t, s in zip(bodies, ats, strict=True) for a, z in ranges(np.array(s, np.int64), len(t)))
-        return pa.RecordBatch.from_arrays([pa.array([part + number]), pa.array([n]), pa.array([list(digests)]), pa.array([list(bodies)]), pa.array([list(ats)], pa.list_(pa.list_(pa.int64())))], names=["chunk", "n", "digests", "bodies", "ats"])
 
-    rows, held = [], 0
-    for b in batches:
-        for digest, body, at in zip(*b.columns, strict=True):
-            rows.append((digest.as_py(), body.as_py(), sorted(at.as_py())))
-            held += len(rows[-1][1])
-            if held >= CHUNK:
-                yield out(rows)
-                rows, held, number = [], 0, number + 1
-    if rows:
-        yield out(rows)
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def _unpack(row: dict) -> tuple[list[bytes], list[np.ndarray]]:
-    return row["bodies"], [np.array(a, np.int64) for a in row["ats"]]
+ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("unit", pa.int32()), ("names", pa.binary()), ("many", pa.binary())])
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spark = docs.sparkSession
-    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    own = docs.select("doc_id", body.alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    heads = materialise(own.select("doc_id", "digest", F.length("body").cast("bigint").alias("n_bytes")), "heads")
-    # distinct texts, in files by digest: later joins on the digest leave them where they are
-    total = heads.agg(F.sum("n_bytes")).first()[0] or 0
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 25)))
-    table = f"texts_{uuid.uuid4().hex}"
-    long = own.filter(F.length("body") >= WIDTH).select("digest", "body").repartition(files, "digest").dropDuplicates(["digest"])
-    long.write.bucketBy(files, "digest").sortBy("digest").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    texts = spark.table(table)
-    sampled = materialise(texts.mapInArrow(_sampled, "digest binary, at array<long>, name array<long>"), "samples")
-    flat = sampled.select("digest", F.explode(F.arrays_zip("at", "name")).alias("s")).select("digest", "s.at", "s.name")
-    # written, so that both sides of the join are exchanged and a hot sample can be split
-    twice = materialise(flat.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"), "twice")
-    repeated = flat.join(twice.hint("merge"), "name").groupBy("digest").agg(F.collect_list("at").alias("at"))
-    chunks = materialise(texts.join(repeated.hint("merge"), "digest").select("digest", "body", "at").mapInArrow(_chunked, "chunk long, n long, digests array<binary>, bodies array<binary>, ats array<array<long>>"), "chunks")
-    buckets = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // BUCKET))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                h, k, _ = names(*_unpack(row), buckets)
-                hs, ks, _, many = entries(h, k)
-                cuts = np.searchsorted(ks, np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(cuts)).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["chunk"]] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([hs[cuts[u] : cuts[u + 1]].tobytes() for u in used], pa.binary()), pa.array([np.packbits(many[cuts[u] : cuts[u + 1]]).tobytes() for u in used], pa.binary())],
-                    names=["chunk", "bucket", "names", "many"],
-                )
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; one bucket is held at a time."""
+def _answer(kinds: int):
+    """Rows come sorted by bucket; one bucket is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out():
-            blobs = [np.frombuffer(n, np.uint64) for _, _, n, _ in held]
-            many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)).astype(bool) for x, (*_, m) in zip(blobs, held, strict=True)]
-            everything = np.sort(np.concatenate(blobs))
-            again = everything[1:][everything[1:] == everything[:-1]]
-            bits = []
-            for x, m in zip(blobs, many, strict=True):
-                i = np.searchsorted(again, x)
-                hit = np.zeros(len(x), bool)
-                hit[i < len(again)] = again[i[i < len(again)]] == x[i < len(again)]
-                bits.append(np.packbits(hit | m).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([c for _, c, *_ in held], pa.int64()), pa.array([k for k, *_ in held], pa.int32()), pa.array(bits, pa.binary()), pa.array([len(x) for x in blobs], pa.int32())], names=["chunk", "bucket", "bits", "size"])
+            blobs = [np.frombuffer(n, np.uint64).reshape(kinds, -1) for *_, n, _ in held]
+            sizes = [x.shape[1] for x in blobs]
+            order, new = sort_names([np.concatenate([x[k] for x in blobs]) for k in range(kinds)])
+            again = ~new
+            again[:-1] |= ~new[1:]
+            hit = np.zeros(len(order), bool)
+            hit[order[again]] = True
+            bits, at = [], 0
+            for n, (*_, many) in zip(sizes, held, strict=True):
+                bits.append(np.packbits(hit[at : at + n] | np.unpackbits(np.frombuffer(many, np.uint8), count=n).astype(bool)).tobytes())
+                at += n
+            cols = [pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.int32()), pa.array([h[0] for h in held], pa.int32()), pa.array(bits, pa.binary()), pa.array(sizes, pa.int32())]
+            return pa.RecordBatch.from_arrays(cols, names=["chunk", "unit", "bucket", "bits", "size"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -258,39 +285,132 @@ def removals(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                texts, samples = _unpack(row)
-                h, k, runs = names(texts, samples, buckets)
-                _, _, place, _ = entries(h, k)
-                bits = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["size"]) for a in sorted(row["answers"], key=lambda a: a["bucket"])]
-                hit = np.concatenate(bits).astype(bool)[place] if bits else np.zeros(0, bool)
-                starts: list[list[np.ndarray]] = [[] for _ in texts]
-                at = 0
-                for i, p, q in runs:
-                    starts[i].append(np.flatnonzero(hit[at : at + q - p]) + p)
-                    at += q - p
-                done = [cut(t, np.concatenate(s) if s else np.zeros(0, np.int64)) for t, s in zip(texts, starts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["digests"], pa.binary()), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([hashlib.sha256(d[2]).hexdigest() for d in done])],
-                    names=["digest", "n_removed", "n_spans", "kept_sha256"],
-                )
-
-    asked = chunks.mapInArrow(ask, "chunk long, bucket int, names binary, many binary").select("bucket", "chunk", "names", "many")
-    answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk long, bucket int, bits binary, size int")
-    answers = answered.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "size")).alias("answers"))
-    results = chunks.join(answers, "chunk").mapInArrow(apply, "digest binary, n_removed long, n_spans long, kept_sha256 string")
-    groups = heads.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    known = materialise(groups.join(results, "digest", "left").filter("copies > 1 or n_removed > 0"), "removed")
+    return run
+
+
+def _answers(asked: DataFrame, kinds: int, tag: str) -> DataFrame:
+    """Marks the names that a second unit has, or that are marked as occurring twice in one."""
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
+    return materialise(dealt.mapInArrow(_answer(kinds), "chunk long, unit int, bucket int, bits binary, size int"), tag)
+
+
+def _texts(t: pa.Table) -> tuple[list[bytes], list[bytes]]:
+    """Digests and bodies of a chunk, in the order of digests."""
+    rows = sorted(zip(t.column("digest").to_pylist(), t.column("body").to_pylist(), strict=True))
+    return [r[0] for r in rows], [r[1] for r in rows]
+
+
+def _bits(notes: list[dict], unit: int) -> np.ndarray:
+    own = sorted((n for n in notes if n["unit"] == unit and n["bits"] is not None), key=lambda n: n["bucket"])
+    return np.concatenate([np.unpackbits(np.frombuffer(n["bits"], np.uint8), count=n["size"]) for n in own]).astype(bool) if own else np.zeros(0, bool)
+
+
+def _runs(digests: list[bytes], notes: list[dict]) -> list[tuple[int, int, int]]:
+    """Runs (text, from, to) of candidate strings."""
+    at = {n["digest"]: n for n in notes if n["digest"] is not None}
+    return [(i, a, z) for i, d in enumerate(digests) if d in at for a, z in zip(at[d]["lo"], at[d]["hi"], strict=True)]
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, kept_chars (characters that begin in what is left)."""
+    spark, most = docs.sparkSession, UNIT
+    values = tuple(secrets.randbelow(PRIME - 1000) + 500 for _ in range(3))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select("doc_id", text.cast("binary").alias("body"), F.length(text).cast("bigint").alias("chars")).withColumn("digest", F.unhex(F.sha2("body", 256)))
+    heads = materialise(own.select("doc_id", "digest", F.length("body").cast("bigint").alias("n_bytes"), "chars"), "heads")
+    total = heads.agg(F.sum("n_bytes")).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 25)))
+    n_chunks = max(1, total // CHUNK)
+    # distinct texts, in files by chunk: grouping by the chunk leaves them where they are from here on
+    table = f"texts_{uuid.uuid4().hex}"
+    chunk = F.pmod(F.xxhash64("digest"), F.lit(n_chunks)).alias("chunk")
+    long = own.filter(F.length("body") >= WIDTH).select(chunk, "digest", "body").repartition(files, "chunk").dropDuplicates(["chunk", "digest"])
+    long.write.bucketBy(files, "chunk").sortBy("chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    texts = spark.table(table)
+    spark._jvm.System.gc()
+    by_chunk = lambda df: df.groupBy("chunk")
+    samples = total * len(_COVER) // PERIOD
+    sample_buckets = max(1, -(-samples // BUCKET))
+
+    def sampled(bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [sample_names(t, values[0]) for t in bodies]
+
+    def ask_samples(key, t):
+        names = np.concatenate([h for _, h in sampled(_texts(t)[1])])
+        return _table(list(_questions(key[0].as_py(), 0, [names], sample_buckets)), ASKED_ARROW)
+
+    ranked = _answers(by_chunk(texts).applyInArrow(ask_samples, ASKED), 1, "ranks")
+
+    def find(key, t, a):
+        """Ranges of the candidates of each text."""
+        digests, bodies = _texts(t)
+        found = sampled(bodies)
+        _, place, _ = entries([np.concatenate([h for _, h in found])])
+        hit, rows, at = _bits(a.to_pylist(), 0)[place], [], 0
+        for d, body, (p, _) in zip(digests, bodies, found, strict=True):
+            if own := ranges(p[hit[at : at + len(p)]], len(body)):
+                rows.append((key[0].as_py(), d, [a for a, _ in own], [z for _, z in own]))
+            at += len(p)
+        return _table(rows, pa.schema([("chunk", pa.int64()), ("digest", pa.binary()), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))]))
+
+    candidates = by_chunk(texts).cogroup(by_chunk(ranked)).applyInArrow(find, "chunk long, digest binary, lo array<long>, hi array<long>")
+    candidates = materialise(candidates, "candidates")
+    discard(ranked)
+    n = candidates.agg(F.sum(F.aggregate(F.arrays_zip("lo", "hi"), F.lit(0).cast("bigint"), lambda s, r: s + r["hi"] - r["lo"]))).first()[0] or 0
+    blocks = max(1, -(-16 * n // int(SHARE * total + 1)))
+    buckets = blocks * max(1, -(-n // (BUCKET * blocks)))
+    notes = candidates.select("chunk", F.lit(None).cast("int").alias("unit"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("int").alias("size"), "digest", "lo", "hi")
+    answered = []
+
+    def asking(first: int, last: int):
+        def ask(key, t, a):
+            digests, bodies = _texts(t)
+            rows = []
+            for k, unit in enumerate(units(_runs(digests, a.to_pylist()), most)):
+                rows += _questions(key[0].as_py(), k, run_names(bodies, unit, values[1:]), buckets, first, last)
+            return _table(rows, ASKED_ARROW)
+
+        return ask
+
+    for block in range(blocks if n else 0):
+        ask = asking(block * buckets // blocks, (block + 1) * buckets // blocks)
+        answered.append(_answers(by_chunk(texts).cogroup(by_chunk(candidates)).applyInArrow(ask, ASKED), 2, "answers"))
+        notes = notes.unionByName(answered[-1], allowMissingColumns=True)
+
+    def apply(key, t, a):
+        digests, bodies = _texts(t)
+        known = a.to_pylist()
+        starts: list[list[np.ndarray]] = [[] for _ in bodies]
+        for k, unit in enumerate(units(_runs(digests, known), most)):
+            _, place, _ = entries(run_names(bodies, unit, values[1:]))
+            hit, at = _bits(known, k)[place], 0
+            for i, p, q in unit:
+                starts[i].append(np.flatnonzero(hit[at : at + q - p]) + p)
+                at += q - p
+        rows = []
+        for d, body, s in zip(digests, bodies, starts, strict=True):
+            gone = np.concatenate(s) if s else np.zeros(0, np.int64)
+            if len(gone):
+                removed, spans, kept = cut(body, gone)
+                begin = int(((np.frombuffer(kept, np.uint8) & 0xC0) != 0x80).sum())
+                rows.append((d, removed, spans, hashlib.sha256(kept).hexdigest(), begin))
+        return _table(rows, pa.schema([("digest", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_chars", pa.int64())]))
+
+    results = by_chunk(texts).cogroup(by_chunk(notes)).applyInArrow(apply, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept_chars long")
+    results = materialise(results, "removed")
+    discard(candidates, texts, *answered)
+    spark.sql(f"DROP TABLE {table}")
+    copies = heads.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    known = materialise(results.join(copies, "digest", "full"), "known")
     out = heads.join(known, "digest", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= WIDTH)
     zero = F.lit(0).cast("bigint")
+    removed = F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero))
     return out.select(
-        "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        "doc_id", "n_bytes", removed.alias("n_removed"),
         F.when(whole, F.lit(1).cast("bigint")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        (F.col("n_bytes") - removed).alias("n_kept"), F.when(whole, zero).otherwise(F.coalesce("kept_chars", "chars")).alias("kept_chars"),
     )
 
 
