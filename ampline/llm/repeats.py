@@ -61,6 +61,8 @@ PIECE = 1 << 18
 CHUNK, UNIT = 1 << 21, 1 << 21
 #: Names of a bucket, about.
 BUCKET = 1 << 20
+#: Files of the texts at most (Spark's own limit on buckets of a table).
+FILES = 100_000
 #: Names of a block of buckets, in bytes, for each byte of text.
 SHARE = 0.4
 
@@ -319,7 +321,7 @@ def removals(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", text.cast("binary").alias("body"), F.length(text).cast("bigint").alias("chars")).withColumn("digest", F.unhex(F.sha2("body", 256)))
     heads = materialise(own.select("doc_id", "digest", F.length("body").cast("bigint").alias("n_bytes"), "chars"), "heads")
     total = heads.agg(F.sum("n_bytes")).first()[0] or 0
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 25)))
+    files = min(FILES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 25))))
     n_chunks = max(1, total // CHUNK)
     # distinct texts, in files by chunk: grouping by the chunk leaves them where they are from here on
     table = f"texts_{uuid.uuid4().hex}"
