@@ -60,7 +60,7 @@ def _line_problem(job: str) -> Column:
     problem = problem.when(flush, None)
     problem = problem.when(~positive("$.arrival_seq"), "arrival_seq is not a positive integer")
     message = F.json_object_keys(F.get_json_object("value", "$.message"))
-    problem = problem.when(~rules.always(_kind("$.message").startswith("OBJECT")), "message is not an object")
+    problem = problem.when(~rules.always(_kind("$.message").startswith("OBJECT")), "the message should be a JSON object")
     problem = problem.when(rules.always(F.size(F.array_except(message, known)) > 0), "message has an unknown key")
     for name, type_ in FIELDS[job].items():
         path = f"$.message.{name}"
@@ -105,7 +105,7 @@ def problems(lines: DataFrame, job: str) -> DataFrame:
     ends = lines.filter("problem is null and flush").agg(F.count(F.lit(1)).alias("n"), F.max("target").alias("target"), F.max("batch").alias("batch"), F.max("pos").alias("pos"))
     total = events.agg(F.max("pos").alias("last"), F.max("batch").alias("top"), F.max(F.when(F.col("valid"), F.col("ts"))).alias("ts"))
     end = F.when(F.col("n") != 1, "not exactly one flush line").when(F.col("last") > F.col("pos"), "the flush line is not last")
-    end = end.when(F.col("ts").isNull(), "no valid event line").when(F.col("batch") != F.col("top") + 1, "flush batch is not the last batch + 1").when(F.col("target") != F.col("ts") + HOUR, "flush target is not the largest valid ts + 1 hour")
+    end = end.when(F.col("ts").isNull(), "without a valid event there is no flush target").when(F.col("batch") != F.col("top") + 1, "flush batch is not the last batch + 1").when(F.col("target") != F.col("ts") + HOUR, "flush target is not the largest valid ts + 1 hour")
     found = [
         lines.select("problem", "pos"), broken.select(F.lit("arrival_seq does not rise by 1").alias("problem"), "pos"),
         following.select(jump.alias("problem"), "pos"), ends.join(total).select(end.alias("problem"), "pos"),  # one row each

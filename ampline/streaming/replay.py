@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,17 @@ class Replay:
     drain: dict
     trace: list[dict]
 
+    def busy(self) -> DataFrame:
+        """(key, busy): each key's last state marker."""
+        return self.facts.filter("kind = 'state'").groupBy("key").agg(F.max_by("busy", "calls").alias("busy"))
+
+    def dropped(self) -> dict[int, int]:
+        """Rows that the engine dropped as late, by the batch they came in."""
+        out: dict[int, int] = {}
+        for t in self.trace:
+            out[t["batch"]] = out.get(t["batch"], 0) + t["dropped"]
+        return out
+
     def counters(self) -> dict[str, int]:
         """Counters that facts carry, with the rows that the engine itself dropped as late."""
         found = {r["counter"]: r["n"] for r in self.facts.filter("kind = 'counter'").groupBy("counter").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -45,19 +57,22 @@ def replay(rows: DataFrame, spec: JobSpec, folder: str) -> Replay:
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     progress: dict[int, list] = {}
 
-    def note():
+    if spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", "true") != "true":
+        raise ValueError("micro-batches without data are off: what a watermark releases would wait for the next data")
+
+    def note(batch: int):
         # the engine keeps only the latest entries (100 by default); a micro-batch can have several
         for p in query.recentProgress:
             own = progress.setdefault(p["batchId"], [])
-            if p["timestamp"] not in [q["timestamp"] for q in own]:
-                own.append(p)
+            if p["timestamp"] not in [q["timestamp"] for _, q in own]:
+                own.append((batch, p))
 
     query = facts_stream(source, spec).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").start(f"{root}/out")
     try:
         for b in batches:
             rows.filter(F.col("batch") == b).coalesce(1).write.mode("append").parquet(f"{root}/in")
             query.processAllAvailable()
-            note()
+            note(b)
         last = rows.agg(F.max("arrival_seq").alias("a")).first()["a"]
         control = rows.limit(1).select(*[
             {"key": F.lit(rules.RESERVED_VIN), "event_id": F.lit(rules.CONTROL_ID), "ts": F.lit(target + spec.delay_ms), "arrival_seq": F.lit(last + 1), "batch": F.lit(batches[-1] + 1), "valid": F.lit(True)}.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
@@ -65,10 +80,22 @@ def replay(rows: DataFrame, spec: JobSpec, folder: str) -> Replay:
         ])
         control.coalesce(1).write.mode("append").parquet(f"{root}/in")
         query.processAllAvailable()
-        note()
+        note(batches[-1] + 1)
     finally:
         query.stop()
     facts = spark.read.schema(FACT).parquet(f"{root}/out")
-    trace = [{"micro_batch": p["batchId"], "watermark": p["eventTime"].get("watermark"), "rows": p["numInputRows"], "dropped": sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]), "state_rows": sum(s["numRowsTotal"] for s in p["stateOperators"])} for b in sorted(progress) for p in progress[b]]
-    reached = spark.sql(f"SELECT unix_millis(timestamp '{trace[-1]['watermark']}') AS t").first()["t"] if trace and trace[-1]["watermark"] else None
+    instant = lambda p: _millis(p["eventTime"].get("watermark"))
+    trace = [
+        {"batch": b, "micro_batch": p["batchId"], "watermark": instant(p), "rows": p["numInputRows"], "dropped": sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]), "state_rows": sum(s["numRowsTotal"] for s in p["stateOperators"])}
+        for n in sorted(progress) for b, p in progress[n]
+    ]
+    reached = trace[-1]["watermark"] if trace else None
     return Replay(facts, {"target": target, "watermark": reached, "drained": reached == target, "state_rows": trace[-1]["state_rows"] if trace else 0}, trace)
+
+
+def _millis(instant: str | None) -> int | None:
+    """Milliseconds of an ISO instant; None before there is a watermark, which the engine shows as the epoch."""
+    if not instant:
+        return None
+    at = datetime.fromisoformat(instant.replace("Z", "+00:00"))
+    return round(at.timestamp() * 1000) or None

@@ -16,10 +16,10 @@ from ampline.streaming.processors import Sessions, Windows
 
 FACT = (
     "kind string, key string, counter string, busy boolean, opened_by string, start_ts long, end_ts long, total_energy_wh long, lat double, lon double, charger_type string, close_reason string, "
-    "window_start long, avg_soc_pct double, min_soh_pct double, max_cell_temp_c double, event_count long"
+    "window_start long, avg_soc_pct double, min_soh_pct double, max_cell_temp_c double, event_count long, calls long"
 )
 _COLUMNS = [c.strip().split(" ")[0] for c in FACT.split(",")]
-_STATE = "seen string, buffered string, job string"
+_STATE = "seen string, buffered string, job string, calls long"
 
 
 def facts_stream(rows: DataFrame, spec: JobSpec) -> DataFrame:
@@ -33,7 +33,8 @@ def facts_stream(rows: DataFrame, spec: JobSpec) -> DataFrame:
     payload = list(spec.payload)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, buffered, job = (json.loads(s) for s in state.get) if state.exists else ({}, [], {})
+        seen, buffered, job = (json.loads(s) for s in state.get[:3]) if state.exists else ({}, [], {})
+        calls = state.get[3] + 1 if state.exists else 1
         watermark = state.getCurrentWatermarkMs()
         quiet = key[0] == rules.RESERVED_VIN
         out, touched = [], state.exists
@@ -56,11 +57,11 @@ def facts_stream(rows: DataFrame, spec: JobSpec) -> DataFrame:
         made = [] if quiet else [x for r in due for x in processor.on_event(r, job)] + processor.on_watermark(watermark, job)
         out += [{"kind": "counter" if "counter" in m else "record", **m} for m in made]
         if touched:
-            state.update((json.dumps(seen), json.dumps(buffered), json.dumps(job)))
+            state.update((json.dumps(seen), json.dumps(buffered), json.dumps(job), calls))
             at = min([processor.next_timeout(job), *(r["ts"] - 1 for r in buffered)])
             if at < rules.MAX_TS:
                 state.setTimeoutTimestamp(max(at, watermark, 1))
-            out.append({"kind": "state", "busy": bool(buffered) or processor.is_open(job)})
+            out.append({"kind": "state", "busy": bool(buffered) or processor.is_open(job), "calls": calls})
         if out:
             frame = pd.DataFrame([{"key": key[0], **o} for o in out], columns=_COLUMNS).astype(object)
             yield frame.where(frame.notna(), None)

@@ -114,11 +114,13 @@ def test_codec_round_trip(spark):
 
 
 def test_kafka_settings():
-    get = {"INPUT_TOPIC": "in", "OUTPUT_TOPIC": "out", "GROUP_ID": "g"}.get
-    assert kafka.KafkaConfig.from_lookup(None, get) == kafka.KafkaConfig("localhost:9092", "in", "out", "g", 0, 500, 1000)
-    for wrong in ({"INPUT_TOPIC": ""}, {"BATCH_MAX_EVENTS": "0"}, {"BATCH_POLL_TIMEOUT_MS": "soon"}):
+    own = {"INPUT_TOPIC": "in", "OUTPUT_TOPIC": "out", "GROUP_ID": "g"}
+    assert kafka.KafkaConfig.read(own) == kafka.KafkaConfig("localhost:9092", "in", "out", "g", 0, 500, 1000)
+    spec = fixtures.SPECS[JOB]
+    assert kafka.KafkaConfig.read({}, spec, shadow=True) == kafka.KafkaConfig("localhost:9092", spec.input_topic, spec.output_topic + ".shadow", JOB, 0, 500, 1000)
+    for wrong in ({"INPUT_TOPIC": ""}, {"BATCH_MAX_EVENTS": "0"}, {"BATCH_POLL_TIMEOUT_MS": "soon"}, {"INPUT_PARTITION": "-1"}):
         with pytest.raises(ValueError):
-            kafka.KafkaConfig.from_lookup(None, lambda k, w=wrong: w.get(k, get(k)))
+            kafka.KafkaConfig.read(own | wrong)
 
 
 def test_manifest(tmp_path):
