@@ -53,6 +53,22 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Columns of documents that operators read by name.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with all columns but OWN in one, `carried`, so that no name of theirs meets an operator's."""
+    extra = [c for c in docs.columns if c not in OWN]
+    kept = [F.col(c) for c in docs.columns if c in OWN]
+    return docs.select(*kept, *([F.struct(*[docs[f"`{c}`"] for c in extra]).alias("carried")] if extra else []))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that packed() had, in their order."""
+    return df.select(*[F.col(c) if c in OWN else F.col("carried").getField(c).alias(c) for c in columns])
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words `[^\\x20\\x09-\\x0D]+` of a text as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
