@@ -219,9 +219,10 @@ def source_lookup(spark, sf_dir):
     return compare.source_lookup(_sessions(spark, sf_dir), _taken(spark, sf_dir))
 
 
-@query(SESSIONIZED + "SELECT output_id FROM sessions WHERE false")
+@query(SESSIONIZED + "SELECT output_id FROM sessions WHERE start_ts % 7 = 0")
 def coordinate_assertions(spark, sf_dir):
-    return compare.coordinate_failures(_sessions(spark, sf_dir), _taken(spark, sf_dir))
+    records = _sessions(spark, sf_dir).withColumn("start_lat", F.col("start_lat") + F.when(F.col("start_ts") % 7 == 0, 0.001).otherwise(0.0))
+    return compare.coordinate_failures(records, _taken(spark, sf_dir))
 
 
 @query(CLASSIFIED + "SELECT key, max(batch) AS batch, arg_max(event <> 'UNPLUG', arrival_seq) AS busy FROM taken GROUP BY key")
