@@ -154,7 +154,7 @@ def train(docs: DataFrame, epochs: int = 3, per_language: int = PER_LANGUAGE) ->
     known = known.withColumn("h", F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30)))
     # every document: sums of one vector per task, added by position
     parts = known.select("text").mapInArrow(_frequencies, "n long, df array<long>")
-    sums = parts.select("n", F.posexplode("df").alias("at", "df")).groupBy("at").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).toPandas()
+    sums = parts.select("n", F.posexplode("df").alias("at", "df")).groupBy("at").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).toArrow().to_pandas()  # not as rows: the driver would hold an object for each
     idf = np.ones(DIM)
     if len(sums):
         idf[sums["at"]] = np.log((1 + sums["n"]) / (1 + sums["df"])) + 1
@@ -249,7 +249,7 @@ def known(docs: DataFrame, model: Model, per_language: int = PER_LANGUAGE) -> Kn
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n]), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["lang", "n", "df"])
 
     parts = sample.filter("h % 5 <> 0").select("lang", "text").mapInArrow(frequencies, "lang string, n long, df array<long>")
-    sums = parts.select("lang", "n", F.posexplode("df").alias("at", "df")).groupBy("lang", "at").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).toPandas()
+    sums = parts.select("lang", "n", F.posexplode("df").alias("at", "df")).groupBy("lang", "at").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).toArrow().to_pandas()
     logs = {}
     for lang, g in sums.groupby("lang"):
         logs[lang] = np.empty(DIM, np.float32)
