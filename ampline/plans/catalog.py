@@ -276,10 +276,10 @@ def counters_flat(spark, sf_dir):
 
 @query(SESSIONIZED + f"SELECT {_SESSION.replace('vin', 'CAST(vin AS VARCHAR) AS vin')} FROM sessions")
 def stream_sessions(spark, sf_dir):
-    return session_records(replay(telemetry(spark, sf_dir), SESSIONS, scratch(spark)).facts)
+    return session_records(replay(telemetry(spark, sf_dir), SESSIONS, scratch(spark), by_batch=False).facts)
 
 
 @query(WINDOWED + f"SELECT {', '.join(batch.WINDOW).replace(' vin', ' CAST(vin AS VARCHAR) AS vin')} FROM healths")
 def stream_windows(spark, sf_dir):
-    found = window_records(replay(telemetry(spark, sf_dir), WINDOWS, scratch(spark)).facts, WINDOWS)
+    found = window_records(replay(telemetry(spark, sf_dir), WINDOWS, scratch(spark), by_batch=False).facts, WINDOWS)
     return found.withColumn("avg_soc_pct", F.round("avg_soc_pct", 6))

@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampline.functions import rules
-from ampline.operators.batch import JobSpec
+from ampline.operators.batch import JobSpec, watermarks
 from ampline.streaming.stateful import FACT, facts_stream
 
 
+#: Steps of a stepped replay at least (or as many as there are batches), and rows of a step, about.
+STEPS, STEP_ROWS = 8, 1_000_000
+#: Batches whose watermarks are broadcast, at most.
+SMALL = 100_000
+
+
 @dataclass
 class Replay:
     facts: DataFrame
@@ -38,8 +44,23 @@ class Replay:
         return found | ({"late": late} if late else {})
 
 
-def replay(rows: DataFrame, spec: JobSpec, folder: str) -> Replay:
-    """rows(batch, ...) as one file per batch, in batch order, through the streaming job.
+def stepped(rows: DataFrame, spec: JobSpec, batches: list[int]) -> tuple[DataFrame, list[int]]:
+    """rows with late and, as batch, the last batch of their step; the steps' batches.
+
+    Rows are late by the watermark before their own batch. The engine's watermark before a step is at most that, so it
+    drops nothing that is on time; final records don't depend on the watermarks at which rows are released.
+    """
+    marks = watermarks(rows, spec).select("batch", "wm_in")
+    marked = rows.join(F.broadcast(marks) if len(batches) <= SMALL else marks, "batch")
+    late = F.col("valid") & F.coalesce(F.col("ts") <= F.col("wm_in"), F.lit(False))
+    count = min(len(batches), max(STEPS, -(-rows.count() // STEP_ROWS)))
+    lasts = [batches[(k + 1) * len(batches) // count - 1] for k in range(count)]
+    step = F.element_at(F.filter(F.lit(lasts), lambda x: x >= F.col("batch")), 1)
+    return marked.select(*[step.cast(f.dataType).alias("batch") if f.name == "batch" else F.col(f.name) for f in rows.schema], late.alias("late")), lasts
+
+
+def replay(rows: DataFrame, spec: JobSpec, folder: str, by_batch: bool = True) -> Replay:
+    """rows(batch, ...) as one file per batch, in batch order, through the streaming job; or, not by batch, one per step of many batches.
 
     The flush is a control row on the reserved key an hour (or twice the gap or window) past the largest
     valid time, plus the delay; an empty batch follows and brings the watermark there.
@@ -52,8 +73,15 @@ def replay(rows: DataFrame, spec: JobSpec, folder: str) -> Replay:
     if target is None:
         return Replay(spark.createDataFrame([], FACT), {"drained": True, "target": None}, [])
     rows = rows.withColumn("key", F.col("key").cast("string"))
-    inbox = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/in")
-    inbox.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(inbox)
+    last = rows.agg(F.max("arrival_seq").alias("a")).first()["a"]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    inbox = path(f"{root}/in")
+    files = inbox.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(inbox)
+    if not by_batch:
+        rows, batches = stepped(rows, spec, batches)
+        # read and dealt once; a step is one file, which comes to the inbox by rename
+        rows.withColumn("step", F.col("batch")).repartition(len(batches), "step").write.partitionBy("step").parquet(f"{root}/steps")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     progress: dict[int, list] = {}
 
@@ -70,12 +98,16 @@ def replay(rows: DataFrame, spec: JobSpec, folder: str) -> Replay:
     query = facts_stream(source, spec).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").start(f"{root}/out")
     try:
         for b in batches:
-            rows.filter(F.col("batch") == b).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            if by_batch:
+                rows.filter(F.col("batch") == b).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            else:
+                for k, f in enumerate(files.globStatus(path(f"{root}/steps/step={b}/*.parquet"))):
+                    if k or not files.rename(f.getPath(), path(f"{root}/in/step-{b}.parquet")):
+                        raise ValueError(f"step {b} isn't one file")
             query.processAllAvailable()
             note(b)
-        last = rows.agg(F.max("arrival_seq").alias("a")).first()["a"]
         control = rows.limit(1).select(*[
-            {"key": F.lit(rules.RESERVED_VIN), "event_id": F.lit(rules.CONTROL_ID), "ts": F.lit(target + spec.delay_ms), "arrival_seq": F.lit(last + 1), "batch": F.lit(batches[-1] + 1), "valid": F.lit(True)}.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
+            {"key": F.lit(rules.RESERVED_VIN), "event_id": F.lit(rules.CONTROL_ID), "ts": F.lit(target + spec.delay_ms), "arrival_seq": F.lit(last + 1), "batch": F.lit(batches[-1] + 1), "valid": F.lit(True), "late": F.lit(False)}.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
             for f in rows.schema
         ])
         control.coalesce(1).write.mode("append").parquet(f"{root}/in")

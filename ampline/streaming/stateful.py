@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,17 @@ _COLUMNS = [c.strip().split(" ")[0] for c in FACT.split(",")]
 _STATE = "seen string, buffered string, job string, calls long"
 
 
+def _records(frame: pd.DataFrame) -> list[dict]:
+    """Rows as dicts of plain Python values, nulls as None."""
+    columns = [[None if v is None or v != v else v for v in frame[c].tolist()] for c in frame.columns]
+    return [dict(zip(frame.columns, r, strict=True)) for r in zip(*columns, strict=True)]
+
+
 def facts_stream(rows: DataFrame, spec: JobSpec) -> DataFrame:
     """rows(key, event_id, ts, arrival_seq, valid, payload...) streaming -> fact rows of kind record, counter or state.
 
-    Rejected rows move no watermark, so they pass beside the stateful operator.
+    Rejected rows move no watermark, so they pass beside the stateful operator; so do
+    rows that a column `late` marks, which are behind the watermark already.
     Rows are held until the watermark passes them and then run in (ts,
     arrival_seq) order. Ids are kept for the whole run.
     """
@@ -39,9 +47,8 @@ def facts_stream(rows: DataFrame, spec: JobSpec) -> DataFrame:
         quiet = key[0] == rules.RESERVED_VIN
         out, touched = [], state.exists
         count = lambda name: [] if quiet else [{"kind": "counter", "counter": name}]
-        rows = [] if state.hasTimedOut else [r for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")]
+        rows = [] if state.hasTimedOut else [r for f in frames for r in _records(f)]
         for r in sorted(rows, key=lambda r: r["arrival_seq"]):
-            r = {k: v.item() if hasattr(v, "item") else v for k, v in r.items()}
             if watermark and r["ts"] <= watermark:  # the engine's own filter may lag one batch
                 out += count("late")
                 continue
@@ -63,15 +70,18 @@ def facts_stream(rows: DataFrame, spec: JobSpec) -> DataFrame:
                 state.setTimeoutTimestamp(max(at, watermark, 1))
             out.append({"kind": "state", "busy": bool(buffered) or processor.is_open(job), "calls": calls})
         if out:
-            frame = pd.DataFrame([{"key": key[0], **o} for o in out], columns=_COLUMNS).astype(object)
-            yield frame.where(frame.notna(), None)
+            cells = np.empty((len(out), len(_COLUMNS)), object)  # None where a fact lacks a column
+            for cell, o in zip(cells, out, strict=True):
+                cell[:] = [{"key": key[0], **o}.get(c) for c in _COLUMNS]
+            yield pd.DataFrame(cells, columns=_COLUMNS)
 
-    valid = rows.filter("valid").withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", f"{spec.delay_ms} milliseconds")
+    known = F.col("late") if "late" in rows.columns else F.lit(False)
+    valid = rows.filter(F.col("valid") & ~known).withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", f"{spec.delay_ms} milliseconds")
     kept = valid.select(F.col("key").cast("string").alias("key"), "event_id", "arrival_seq", *payload, "event_time")
     facts = kept.groupBy("key").applyInPandasWithState(update, FACT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     blank = lambda c: F.lit(None).cast(facts.schema[c].dataType).alias(c)
-    refused = rows.filter(~F.col("valid") & ~F.col("key").cast("string").eqNullSafe(F.lit(rules.RESERVED_VIN)))
-    made = {"kind": F.lit("counter").alias("kind"), "key": F.col("key").cast("string").alias("key"), "counter": F.lit("rejected").alias("counter")}
+    refused = rows.filter((~F.col("valid") | known) & ~F.col("key").cast("string").eqNullSafe(F.lit(rules.RESERVED_VIN)))
+    made = {"kind": F.lit("counter").alias("kind"), "key": F.col("key").cast("string").alias("key"), "counter": F.when(F.col("valid"), "late").otherwise("rejected").alias("counter")}
     return facts.unionByName(refused.select(*[made.get(c, blank(c)) for c in _COLUMNS]))
 
 
