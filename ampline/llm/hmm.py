@@ -7,9 +7,12 @@ two bytes. Latent states emit classes; within a rare class a word has
 probability (c + 1) / (n + v + 1), c its count, n and v the class's tokens and
 distinct words, so that the model is a distribution over all texts.
 
-Word counts come from all learning documents. Baum-Welch starts on a bounded
-sample (WARM_DOCS documents by hash), and then each of FULL rounds gathers
-expected counts from every learning document, per partition, and adds them up.
+Word counts come from all learning documents, and so does the model: Baum-Welch
+first goes through all of them in BLOCKS blocks by hash, with a new model after
+each block from its expected counts and the earlier blocks', which count FADE
+times as much for each block that follows. Then each of FULL rounds gathers
+expected counts from every learning document. Counts are gathered per partition
+and added up. Class sequences are made once and read again by each step.
 A text's likelihood is exact: the scaled forward recursion over all its tokens.
 
 Frequent words are looked up in a broadcast table of HEAD rows whatever the
@@ -39,11 +42,11 @@ from .common import discard, fold_column, materialise, read_table, words_of
 STATES = 8
 HEAD = 65_536
 RARE = 1024
-WARM_DOCS = 1500
-WARM_ROUNDS = 12
+BLOCKS = 8
+FADE = 0.5
 FULL = 1
 #: Tokens held at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Least weight of the class unigram in a state's emissions, in tokens; the classes that it emits add theirs.
 PRIOR = 100.0
 
@@ -206,23 +209,23 @@ def expected(model: Hmm, seqs: list[np.ndarray], classes: int) -> tuple[float, n
     return float(total.sum()), start, moves, emits
 
 
-def chunks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, size: int = CHUNK) -> Iterator[tuple[list, list[list[bytes]], list[np.ndarray]]]:
-    """(doc_ids, words, class sequences) of documents with `size` tokens together."""
-    ids, words, seqs, held = [], [], [], 0
-    end = len(vocab.head) + RARE
+def chunks(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, size: int = CHUNK) -> Iterator[tuple[list, list[Counter], list[np.ndarray]]]:
+    """(doc_ids, counts of the words of rare classes, class sequences) of documents with `size` tokens together."""
+    ids, tails, seqs, held = [], [], [], 0
+    h, end = len(vocab.head), len(vocab.head) + RARE
     for b in batches:
         for doc, text in zip(*b.columns[:2], strict=True):
             w = words_of(text.as_py())
             s = np.array([*vocab.encode(w), end], np.int32)
             ids.append(doc.as_py())
-            words.append(w)
+            tails.append(Counter(w[i] for i in np.flatnonzero((s >= h) & (s < end)).tolist()))
             seqs.append(s)
             held += len(s)
             if held >= size:
-                yield ids, words, seqs
-                ids, words, seqs, held = [], [], [], 0
+                yield ids, tails, seqs
+                ids, tails, seqs, held = [], [], [], 0
     if ids:
-        yield ids, words, seqs
+        yield ids, tails, seqs
 
 
 def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES) -> Hmm:
@@ -232,45 +235,65 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES) -> Hmm:
     n = vocab.ends
     if not n:
         return model
-    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    warm = docs.filter(h <= int(min(1.0, 1.2 * WARM_DOCS / n) * (1 << 30))).withColumn("h", h).orderBy("h").limit(WARM_DOCS)
     end = len(vocab.head) + RARE
     shared = spark.sparkContext.broadcast(vocab)
 
     def encoded(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.array([*shared.value.encode(words_of(t.as_py())), end], "<i4").tobytes() for t in b.column(0)], pa.binary())], names=["seq"])
-
-    seqs = [np.frombuffer(r["seq"], "<i4") for r in warm.select("text").mapInArrow(encoded, "seq binary").collect()]
-    for _ in range(WARM_ROUNDS):
-        start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((vocab.classes, states))
-        for at in range(0, len(seqs), 500):
-            _, s, m, e = expected(model, seqs[at : at + 500], vocab.classes)
-            start, moves, emits = start + s, moves + m, emits + e
-        model = Hmm.from_counts(start, moves, emits, vocab)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array([*shared.value.encode(words_of(t.as_py())), end], "<i4").tobytes() for t in b.column(1)], pa.binary())], names=["block", "seq"])
+
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS)).cast("int")
+    made = materialise(docs.select(block.alias("block"), F.col("text").cast("string")).mapInArrow(encoded, "block int, seq binary"), "sequences")
+    counts = None
+    for k in range(BLOCKS):
+        own = gathered(made.filter(F.col("block") == k), model, vocab.classes)
+        counts = own if counts is None else [FADE * a + b for a, b in zip(counts, own, strict=True)]
+        model = Hmm.from_counts(*counts, vocab)
     for _ in range(FULL):
-        current = spark.sparkContext.broadcast(model)
-
-        def gather(batches, current=current):
-            start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((shared.value.classes, states))
-            for *_, seqs in chunks(batches, shared.value):
-                _, s, m, e = expected(current.value, seqs, shared.value.classes)
-                start, moves, emits = start + s, moves + m, emits + e
-            at = np.flatnonzero(emits.sum(1))
-            rows = [-2, *range(-2 - states, -2), *at.tolist()]  # starts, moves, emissions
-            values = np.concatenate([start[None], moves, emits[at]])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *(pa.array(values[:, k]) for k in range(states))], names=["at", *(f"s{k}" for k in range(states))])
-
-        cols = [f"s{k}" for k in range(states)]
-        # a row per class and task, added up by class: `classes` rows reach the driver
-        sums = docs.select("doc_id", "text").mapInArrow(gather, "at long, " + ", ".join(f"{c} double" for c in cols)).groupBy("at").agg(*[F.sum(c).alias(c) for c in cols]).toPandas().set_index("at")
-        emits = np.zeros((vocab.classes, states))
-        own = sums[sums.index >= 0]
-        emits[own.index.to_numpy()] = own.to_numpy()
-        model = Hmm.from_counts(sums.loc[-2].to_numpy(), sums.loc[[*range(-2 - states, -2)]].to_numpy(), emits, vocab)
+        model = Hmm.from_counts(*gathered(made, model, vocab.classes), vocab)
+    discard(made)
     return model
 
 
+def gathered(made: DataFrame, model: Hmm, classes: int) -> list[np.ndarray]:
+    """made(seq) -> Baum-Welch's expected starts, moves and emissions over all its sequences."""
+    states = len(model.start)
+    current = made.sparkSession.sparkContext.broadcast(model)
+
+    def gather(batches):
+        start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+        seqs, held = [], 0
+
+        def add():
+            nonlocal start, moves, emits
+            _, s, m, e = expected(current.value, seqs, classes)
+            start, moves, emits = start + s, moves + m, emits + e
+
+        for b in batches:
+            for q in b.column(0):
+                seqs.append(np.frombuffer(q.as_py(), "<i4"))
+                held += len(seqs[-1])
+                if held >= CHUNK:
+                    add()
+                    seqs, held = [], 0
+        if seqs:
+            add()
+        at = np.flatnonzero(emits.sum(1))
+        rows = [-2, *range(-2 - states, -2), *at.tolist()]  # starts, moves, emissions
+        values = np.concatenate([start[None], moves, emits[at]])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(values[:, k]) for k in range(states))], names=["at", *(f"s{k}" for k in range(states))])
+
+    cols = [f"s{k}" for k in range(states)]
+    # a row per class and task, added up by class: `classes` rows reach the driver
+    sums = made.select("seq").mapInArrow(gather, "at int, " + ", ".join(f"{c} double" for c in cols)).groupBy("at").agg(*[F.sum(c).cast("float").alias(c) for c in cols]).toPandas().set_index("at")
+    emits = np.zeros((classes, states))
+    if -2 not in sums.index:  # no rows, so no task gathered any
+        return [np.zeros(states), np.zeros((states, states)), emits]
+    own = sums[sums.index >= 0]
+    emits[own.index.to_numpy()] = own.to_numpy()
+    return [sums.loc[-2].to_numpy(np.float64), sums.loc[[*range(-2 - states, -2)]].to_numpy(np.float64), emits]
+
+
 def score(docs: DataFrame, model: Hmm, vocab: Vocabulary, counts: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
@@ -283,13 +306,12 @@ def score(docs: DataFrame, model: Hmm, vocab: Vocabulary, counts: DataFrame) ->
         # log10 of c + 1 for the classes of one word; of the class's n + v + 1 for the rest
         own = np.concatenate([np.log10(v.head_counts + 1.0), np.zeros(RARE), [math.log10(v.ends + 1)]])
         within = np.concatenate([np.zeros(h), np.log10(v.rare_tokens + v.rare_words + 1.0), [0.0]])
-        for ids, words, seqs in chunks(batches, v):
+        for ids, tails, seqs in chunks(batches, v):
             lls = forward(m, seqs)
             for at in range(0, len(ids), 500):
                 out = []
-                for doc, w, s, ll in zip(ids[at : at + 500], words[at : at + 500], seqs[at : at + 500], lls[at : at + 500], strict=True):
+                for doc, tail, s, ll in zip(ids[at : at + 500], tails[at : at + 500], seqs[at : at + 500], lls[at : at + 500], strict=True):
                     rare = (s >= h) & (s < h + RARE)
-                    tail = Counter(w[i] for i in np.flatnonzero(rare).tolist())
                     out.append((part + index, doc, len(s), int((~rare).sum()) - (v.ends == 0), float(own[s].sum()), ll / math.log(10) - float(within[s].sum()), list(tail), list(tail.values())))
                     index += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
